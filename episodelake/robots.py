@@ -1,0 +1,140 @@
+"""Operators over the robot tables (problems 2 to 5 of TESTDATA.md)."""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+
+#: Items that a KLL sketch keeps at its top level; a rank is then off by at most about 2.446 / k^0.9433.
+KLL_K = 4096
+KLL_RANK_ERROR = 2.446 / KLL_K**0.9433
+PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Rows that differ in nothing or only in ingested_at are one record; its first arrival stays."""
+    return df.groupBy([c for c in df.columns if c != "ingested_at"]).agg(F.min("ingested_at").alias("ingested_at"))
+
+
+def empty_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Slots between an episode's first and last filled one that no reading fills."""
+    fps = table(spark, d, "robots").select("robot", F.col("fps").cast("double").alias("fps"))
+    t = F.col("timestamp").cast("double")
+    filled = (
+        table(spark, d, "frames")
+        .select("episode_index", "robot", "timestamp")
+        .where(F.col("episode_index").isNotNull() & (t >= 0) & (t < float("inf")))  # NaN isn't below infinity
+        .join(F.broadcast(fps), "robot")
+        .select("episode_index", F.floor(t * F.col("fps") + 0.5).alias("slot"))
+        .distinct()
+    )
+    after = F.lead("slot").over(W.partitionBy("episode_index").orderBy("slot"))
+    return (
+        filled.withColumn("after", after)
+        .where(F.col("after") > F.col("slot") + 1)
+        .select("episode_index", F.explode(F.sequence(F.col("slot") + 1, F.col("after") - 1)).alias("slot"))
+    )
+
+
+def current(df: DataFrame, *fields: str) -> DataFrame:
+    """The row of an episode that came last, and when its first came."""
+    last = F.max(F.struct("ingested_at", *fields))
+    return (
+        df.where("episode_index is not null")
+        .groupBy("episode_index")
+        .agg(last.alias("last"), F.min("ingested_at").alias("first_at"))
+        .select("episode_index", "first_at", *(F.col(f"last.{f}").alias(f) for f in fields))
+    )
+
+
+def dangling(spark: SparkSession, d: str) -> DataFrame:
+    """Keys without a live target, by child and parent table and the month they first came."""
+
+    def cases(df: DataFrame, child: str, parent: str) -> DataFrame:
+        return df.select(F.lit(child).alias("child_table"), F.lit(parent).alias("parent_table"), "episode_index", F.date_format("first_at", "yyyy-MM").alias("period"))
+
+    live = current(table(spark, d, "episodes"), "is_deleted", "num_frames").where("not coalesce(is_deleted, false)")
+    meta = current(table(spark, d, "episode_meta"), "length")
+    frames = (
+        table(spark, d, "frames")
+        .where("episode_index is not null")
+        .groupBy("episode_index", "frame_index")
+        .agg(F.min("ingested_at").alias("first_at"))
+        .groupBy("episode_index")
+        .agg(F.min("first_at").alias("first_at"), F.count("frame_index").alias("n"))
+    )
+    keys = {"frames": frames, "episode_meta": meta}
+    for name in ("sync", "episode_quality"):
+        keys[name] = table(spark, d, name).where("episode_index is not null").groupBy("episode_index").agg(F.min("ingested_at").alias("first_at"))
+    out = cases(live.join(meta.select("episode_index"), "episode_index", "left_anti"), "episodes", "episode_meta")
+    for name, df in keys.items():
+        out = out.unionAll(cases(df.join(live.select("episode_index"), "episode_index", "left_anti"), name, "episodes"))
+    for name, df, declared in (("episodes", live, "num_frames"), ("episode_meta", meta, "length")):
+        counted = df.join(frames.select("episode_index", "n"), "episode_index", "left")
+        out = out.unionAll(cases(counted.where(F.col(declared) > F.coalesce("n", F.lit(0))), name, "frames"))
+    return out
+
+
+def monthly_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A mergeable KLL sketch of each metric by robot and month; copies count once, in the month they first came."""
+
+    def metric(name: str, column: str) -> DataFrame:
+        value = F.col(column).cast("double")
+        return once(table(spark, d, name)).where(value.isNotNull() & ~F.isnan(value)).select("robot", F.lit(f"{name}.{column}").alias("metric"), F.date_format("ingested_at", "yyyy-MM").alias("month"), value.alias("value"))
+
+    values = metric("episode_quality", "action_magnitude").unionAll(metric("sync", "max_gap_s")).unionAll(metric("sync", "drift_ms"))
+    return values.groupBy("robot", "metric", "month").agg(F.kll_sketch_agg_double("value", F.lit(KLL_K)).alias("sketch"))
+
+
+def combined_percentiles(summaries: DataFrame) -> DataFrame:
+    """Percentiles per robot from the summaries of any months; a value's rank is off by rank_error at most."""
+    ranks = F.array(*(F.lit(p) for p in PERCENTILES))
+    merged = summaries.groupBy("robot", "metric").agg(F.kll_merge_agg_double("sketch", F.lit(KLL_K)).alias("sketch"))
+    return (
+        merged.withColumn("n", F.kll_sketch_get_n_double("sketch"))
+        .select("robot", "metric", "n", F.explode(F.arrays_zip(ranks.alias("percentile"), F.kll_sketch_get_quantile_double("sketch", ranks).alias("value"))).alias("x"))
+        .select("robot", "metric", "n", F.col("x.percentile").alias("percentile"), F.col("x.value").alias("value"), F.lit(KLL_RANK_ERROR).alias("rank_error"))
+    )
+
+
+def percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return combined_percentiles(monthly_summaries(spark, d))
+
+
+def task_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of tasks that each task has to share a split with, named by its least task."""
+    told = table(spark, d, "frames").where("episode_index is not null and task_index is not null and task_index <> -1").select("episode_index", "task_index").distinct()
+    edges = told.groupBy("episode_index").agg(F.min("task_index").alias("a"), F.collect_set("task_index").alias("all")).select("a", F.explode("all").alias("b")).distinct()
+
+    def union(pdf: pd.DataFrame) -> pd.DataFrame:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        return pd.DataFrame({"task_index": list(up), "task_group": [root(x) for x in up]}, dtype="int64")
+
+    # The edges are distinct pairs of tasks, of which there is a fixed number, however many frames there are.
+    return edges.groupBy().applyInPandas(union, "task_index long, task_group long")
+
+
+def linked_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of tasks that have to share a split."""
+    tasks = task_groups(spark, d).groupBy("task_group").agg(F.collect_list("task_index").alias("all"))
+    pairs = tasks.select(F.explode("all").alias("task_a"), "all").select("task_a", F.explode("all").alias("task_b"))
+    return pairs.where("task_a < task_b")

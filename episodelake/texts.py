@@ -1,0 +1,243 @@
+"""Operators over the notebooks (problems 6 to 8 of TESTDATA.md)."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def encoder():
+    import base64
+
+    import tiktoken
+
+    scope: dict = {}
+    exec(open(f"{TOKENIZERS}/__init__.py").read(), scope | {"__file__": f"{TOKENIZERS}/__init__.py"}, scope)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb"))}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=scope["PATTERN"], mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's ids by byte_bpe_50k, without special tokens; none for null and empty texts."""
+
+    def encode(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        e = encoder()
+        for b in batches:
+            ids = [e.encode_to_numpy(t, disallowed_special=()).astype(np.int32) if t else np.empty(0, np.int32) for t in b.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "ids"])
+
+    return documents(spark, d).select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
+
+
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source without case and outer blanks, n_tokens."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        e = encoder()
+        for b in batches:
+            n = [len(e.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
+
+    source = F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source")
+    targets = spark.read.parquet(f"{d}/mix_targets.parquet").select(source)
+    wanted = documents(spark, d).select("doc_id", source, "text").join(F.broadcast(targets), "source", "left_semi")
+    return wanted.select("doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, n_tokens long")
+
+
+def mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The notebooks to take and how often, so that each source's part of all tokens is its weight's part.
+
+    Weights are taken in proportion among the sources that have tokens; one without any can't have a part. The whole is
+    the largest of which every such source can give its part within max_repeats: `tokens_wanted` is that part in tokens.
+    Of a source, every notebook is taken floor(tokens_wanted / tokens there) times, and in a fixed shuffled order those
+    once more that still fit into the rest; what is then left is filled with more repeats, the longest first. target_part and actual_part are the same in all rows of a source.
+    """
+    source = F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source")
+    targets = spark.read.parquet(f"{d}/mix_targets.parquet").select(source, F.col("target_weight").alias("weight"), F.col("max_repeats").cast("long").alias("max_repeats"))
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[(pdf["there"] > 0) & (pdf["weight"] > 0) & (pdf["max_repeats"] > 0)].copy()
+        pdf["target_part"] = pdf["weight"] / pdf["weight"].sum()
+        whole = (pdf["there"] * pdf["max_repeats"] / pdf["target_part"]).min()
+        pdf["wanted"] = [min(round(whole * p), n * r) for p, n, r in zip(pdf["target_part"], pdf["there"], pdf["max_repeats"])]
+        return pdf[["source", "target_part", "there", "wanted", "max_repeats"]]
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf.assign(repeats=[])[["doc_id", "source", "n_tokens", "repeats", "target_part"]]
+        there, wanted = int(pdf["there"].iloc[0]), int(pdf["wanted"].iloc[0])
+        pdf = pdf.sort_values(["place", "doc_id"])
+        times, left = divmod(wanted, there)
+        most, sizes = int(pdf["max_repeats"].iloc[0]), pdf["n_tokens"].tolist()
+        repeats = [times] * len(sizes)
+        for i, n in enumerate(sizes):
+            if 0 < n <= left and times < most:
+                repeats[i] += 1
+                left -= n
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]) if left else ():
+            if sizes[i]:
+                more = min(most - repeats[i], left // sizes[i])
+                repeats[i] += more
+                left -= more * sizes[i]
+        pdf["repeats"] = repeats
+        return pdf[["doc_id", "source", "n_tokens", "repeats", "target_part"]]
+
+    counts = token_counts(spark, d).persist()
+    sums = counts.groupBy("source").agg(F.sum("n_tokens").alias("there"))
+    shares = targets.join(sums, "source").groupBy().applyInPandas(share, "source string, target_part double, there long, wanted long, max_repeats long")
+    taken = (
+        counts.withColumn("place", F.xxhash64("doc_id"))
+        .join(F.broadcast(shares), "source")
+        .groupBy("source")
+        .applyInPandas(take, "doc_id long, source string, n_tokens long, repeats long, target_part double")
+        .where("repeats > 0")
+        .persist()
+    )
+    of = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("source_tokens"))
+    parts = of.crossJoin(of.agg(F.sum("source_tokens").alias("all_tokens"))).select("source", (F.col("source_tokens") / F.col("all_tokens")).alias("actual_part"))
+    return taken.join(F.broadcast(parts), "source").select("doc_id", "source", "n_tokens", "repeats", "target_part", "actual_part")
+
+
+def finder(given: set[str], family: set[str]):
+    """text -> [(start, end, kind)] in order, without overlaps. given, family: name parts; as not all in use are listed, any
+    beginning and ending that each several listed parts have may also be joined."""
+    import re
+    import unicodedata
+    from collections import defaultdict
+
+    def wider(parts: set[str]) -> set[str]:
+        starts, ends = defaultdict(set), defaultdict(set)
+        for p in parts:
+            for i in range(2, len(p)):
+                starts[p[:i]].add(p[i:])
+                ends[p[i:]].add(p[:i])
+        cut = {(p[:i], p[i:]) for p in parts for i in range(2, len(p)) if len(starts[p[:i]]) >= 3 and len(ends[p[i:]]) >= 4}
+        return parts | {a + b for a in {a for a, _ in cut} for b in {b for _, b in cut}}
+
+    fold = lambda x: unicodedata.normalize("NFC", x).casefold()
+    given, family = ({fold(x) for x in wider(parts)} for parts in (given, family))
+    word = r"[A-ZÀ-ÖØ-Þ][^\W\d_̀]*(?:[̀-ͯ][^\W\d_]*)*"
+    gap = r"(?:[ \t ]+|[ \t]*\r?\n[ \t]*)"
+    # Each begins with a set of characters, which makes its search fast; what may not stand before comes second.
+    pair = re.compile(rf"([A-ZÀ-ÖØ-Þ](?<![^\W_].)[^\W\d_]*(?:[̀-ͯ][^\W\d_]*)*(?:-{word})*)(?=(,?){gap}(?:([A-ZÀ-Þ])\.?{gap})?({word}(?:-{word})*))")
+    user = re.compile(r"(?<![\w.+%-])[A-Za-z0-9À-ɏ][\w.+%-]*[ ]?$")
+    host = re.compile(r"@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-]|\.\w)(?!:[\w~/])")
+    dots = r"(?:\.|[ ]?[\[({<][ ]?(?:dot|DOT|Dot)[ ]?[\])}>][ ]?|[ ](?:DOT|dot)[ ])"
+    spelt = re.compile(rf"[\[({{<][ ]?(?:at|AT|At)[ ]?[\])}}>][ ]?[\w-]+(?:{dots}[\w-]+)+")
+    spoken = re.compile(r"[ ](?:AT|at)[ ][\w-]+(?:(?:[ ](?:DOT|dot)[ ]|\.)[\w-]+)*[ ](?:DOT|dot)[ ][\w-]+")
+    digits = re.compile(r"[+(0-9](?<![\w.+/=-].)[\d() ./-]{8,30}")
+    phone = re.compile(
+        r"(?<![\w.+/=-])(?<!\d[ ])(?:"
+        r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ ./-]?\d{2,5}){1,4}"
+        r"|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}"
+        r"|0\d{4}[ ]\d{6}|0\d{2}[ ]\d{4}[ ]\d{4}|0\d{3}[ ]\d{3}[ ]\d{4}|0\d{1,4}/\d{6,9}|0\d(?:[ .]\d\d){4})(?![\w=-]|[./]\d)"
+    )
+    number = re.compile(r"[09A-Z](?<![\w.+/=-].)(?<!\d[ ].)(?:(?<=9)\d\d-\d\d-\d{4}|(?<=[A-Z])[A-Z] ?\d\d ?\d\d ?\d\d ?[A-D]|(?<=0)0 ?\d{3} ?\d{3} ?\d{3})(?![\w=-]|[./]\d)")
+    other = re.compile(r"(?i)(?:\b(?:lot|run|order|batch|job|serial)(?:[ _]?(?:id|no|nr|number))?\.?\W{0,6})$")
+    caps = r"[A-ZÀ-Þ][\w'’-]+"
+    street = re.compile(
+        rf"[0-9](?<![\w.,/-].)\d{{0,4}}(?:[A-Za-z]?,?{gap}(?:{caps}{gap}){{1,3}}?(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Crescent|Cres|Boulevard|Blvd|Way|Terrace|Place|Close|Square)\b\.?"
+        rf"|(?: bis| ter)?,?{gap}(?:rue|avenue|chemin|boulevard|place|allée|impasse|quai|route|cours)[ ](?:(?:de la|de l['’]|du|des|de|d['’])[ ]?)?{caps})"
+    )
+    named = re.compile(rf"(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Rua|Via|Ronda|calle|avenida|rue|chemin)[ ](?:(?:de la|del|de|du)[ ])?{caps},?[ ]\d{{1,5}}\b")
+    ending = re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer)[ ]\d{1,5}\b")
+    capital = re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß]+$")
+    #: An embedded image is data, not prose.
+    blob = re.compile(r"[A-Za-z0-9+/]{80,}={0,2}")
+
+    def find(text: str) -> list[tuple[int, int, str]]:
+        blobs = [m.span() for m in blob.finditer(text)] if "base64" in text else []
+        if blobs:  # as long as before, so that positions hold
+            chars, at = [], 0
+            for a, b in blobs:
+                chars += [text[at:a], "\0" * (b - a)]
+                at = b
+            text = "".join(chars) + text[at:]
+        found = []
+        for p in (host, spelt, *[spoken] * (" DOT " in text or " dot " in text)):
+            for m in p.finditer(text):
+                before = text[max(0, m.start() - 80) : m.start()]
+                if (u := user.search(before)) and not before[: u.start()].endswith("//") and (p is not host or before[-1] != " "):
+                    found.append((m.start() - len(u.group()), m.end(), "email"))
+        found += [(*m.span(), "street_address") for p in (street, named) for m in p.finditer(text) if p is street or not text[m.start() - 1 : m.start()].isalnum()]
+        for m in ending.finditer(text):
+            if w := capital.search(text, max(0, m.start() - 40), m.start()):
+                found.append((w.start(), m.end(), "street_address"))
+        labelled = lambda m: other.search(text[max(0, m.start() - 24) : m.start()])
+        found += [(*m.span(), "id_number") for m in number.finditer(text) if not labelled(m)]
+        found += [(*m.span(), "phone") for x in digits.finditer(text) for m in phone.finditer(text, x.start(), min(len(text), x.end() + 3)) if not labelled(m)]
+        for m in pair.finditer(text):
+            a, comma, _, b = m.groups()
+            first, last = (b, a) if comma else (a, b)
+            if fold(first) in given and all(fold(x) in family for x in last.split("-")):
+                found.append((m.start(), m.end(4), "person_name"))
+        out, end = [], 0
+        for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
+            if a >= end:
+                out.append((a, b, kind))
+                end = b
+        return out
+
+    return find
+
+
+def name_parts(spark: SparkSession, d: str) -> tuple[set[str], set[str]]:
+    """The listed name parts, of which there is a fixed number."""
+    rows = spark.read.parquet(f"{d}/name_parts.parquet").collect()
+    return {r["name_part"] for r in rows if r["role"] == "given"}, {r["name_part"] for r in rows if r["role"] == "family"}
+
+
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Where each text mentions an email, phone, identity number, street address or name."""
+    given, family = name_parts(spark, d)
+
+    def search(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        find = finder(given, family)
+        for b in batches:
+            rows = [(i, kind, start) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for start, _, kind in find(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "kind", "start_pos"])
+
+    return documents(spark, d).select("doc_id", "text").where("text is not null").mapInArrow(search, "doc_id long, kind string, start_pos long")
+
+
+def masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with [EMAIL], [PHONE], [ID_NUMBER], [STREET_ADDRESS] or [PERSON_NAME] for each mention."""
+    given, family = name_parts(spark, d)
+
+    def mask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        find = finder(given, family)
+
+        def replace(text: str | None) -> str | None:
+            parts, at = [], 0
+            for a, b, kind in find(text) if text else ():
+                parts += [text[at:a], f"[{kind.upper()}]"]
+                at = b
+            return "".join(parts) + text[at:] if parts else text
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(replace, b.column("text").to_pylist()), pa.string())], names=["doc_id", "text"])
+
+    return documents(spark, d).select("doc_id", "text").mapInArrow(mask, "doc_id long, text string")
