@@ -1,12 +1,13 @@
-"""Operators over the robot tables (problems 2 to 5 of TESTDATA.md)."""
+"""Operators over the robot tables (problems 1 to 5 of TESTDATA.md)."""
 
 from __future__ import annotations
 
+import math
 import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
@@ -138,3 +139,140 @@ def linked_tasks(spark: SparkSession, d: str) -> DataFrame:
     tasks = task_groups(spark, d).groupBy("task_group").agg(F.collect_list("task_index").alias("all"))
     pairs = tasks.select(F.explode("all").alias("task_a"), "all").select("task_a", F.explode("all").alias("task_b"))
     return pairs.where("task_a < task_b")
+
+
+JOINTS, GRIPPERS = 14, (6, 13)
+#: A spike departs from the running median of so many readings by more than SPIKE times what the joint all but never exceeds in a step.
+SPIKE_WINDOW, SPIKE = 11, 6.0
+#: Equal readings in a row that are no longer normal; episodes in a row with one magnitude; robust deviations of a magnitude.
+HOLD, SAME, FAR_OFF = 7, 6, 6.0
+#: The bins of a step's size in the histogram are this factor apart.
+BIN = 1.05
+
+
+def by_episode(batches, joined):
+    """The episodes of sorted batches, each whole; joined makes one frame of several."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else joined([rest, b])
+        e = b["episode_index"].to_numpy()
+        if not len(e):
+            continue
+        last = int((e != e[-1]).sum())  # sorted: the last episode may go on in the next batch
+        if last:
+            yield b.iloc[:last]
+        rest = b.iloc[last:]
+    if rest is not None:
+        yield rest
+
+
+def joint_cases(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    state = F.when(F.size("`observation.state`") == JOINTS, F.col("`observation.state`")).alias("state")
+    readings = (
+        table(spark, d, "frames")
+        .where((F.size("action") == JOINTS) & F.col("episode_index").isNotNull() & F.col("frame_index").isNotNull())
+        .select("episode_index", "frame_index", "timestamp", "robot", "action", state)
+    )
+
+    def ordered(*columns: str) -> DataFrame:
+        return readings.select(*columns).repartition("episode_index").sortWithinPartitions("episode_index", "frame_index", "timestamp")
+
+    def episodes(batches):
+        """Of each episode its frame_index, robot, actions and states; a reading delivered twice counts once."""
+        for b in by_episode(batches, pd.concat):
+            x = np.array([[np.nan if v is None else v for v in a] for a in b["action"]] if any(None in a for a in b["action"]) else b["action"].tolist(), dtype=np.float64)
+            e, i = b["episode_index"].to_numpy(), b["frame_index"].to_numpy()
+            again = np.zeros(len(e), bool)
+            again[1:] = (e[1:] == e[:-1]) & (i[1:] == i[:-1]) & ((x[1:] == x[:-1]) | (np.isnan(x[1:]) & np.isnan(x[:-1]))).all(1)
+            x, e, i, r = x[~again], e[~again], i[~again], b["robot"].to_numpy()[~again]
+            s = b["state"].to_numpy()[~again] if "state" in b else None
+            cuts = [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                yield int(e[a]), r[a], i[a:z], x[a:z], None if s is None else s[a:z]
+
+    def steps(batches):
+        """How many steps of each size, by robot and joint."""
+        counts: dict = {}
+        for _, robot, _, x, _ in episodes(batches):
+            if robot is None or len(x) < 2:
+                continue
+            with np.errstate(all="ignore"):
+                size = np.abs(np.diff(x, axis=0))
+                bins = np.where(size > 0, np.ceil(np.log(size) / np.log(BIN)), -10_000)
+            for j in range(JOINTS):
+                own, n = np.unique(bins[np.isfinite(bins[:, j]), j], return_counts=True)
+                for k, m in zip(own.tolist(), n.tolist()):
+                    counts[robot, j, int(k)] = counts.get((robot, j, int(k)), 0) + m
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["robot", "joint", "bin", "n"])
+
+    hist = ordered("episode_index", "frame_index", "timestamp", "robot", "action").mapInPandas(steps, "robot string, joint int, bin int, n long")
+    below = F.sum("n").over(W.partitionBy("robot", "joint").orderBy("bin")) / F.sum("n").over(W.partitionBy("robot", "joint"))
+    usual = (
+        hist.groupBy("robot", "joint", "bin").agg(F.sum("n").alias("n")).withColumn("below", below)
+        .groupBy("robot", "joint").agg(F.min(F.when(F.col("below") >= 0.99, F.col("bin"))).alias("top"), F.max(F.when(F.col("bin") == -10_000, F.col("below"))).alias("still"))
+    )
+    # A row for each joint of each robot, of which there is a fixed number.
+    step = {(r["robot"], r["joint"]): (BIN ** r["top"] if r["top"] > -10_000 else 0.0, r["still"] or 0.0) for r in usual.collect()}
+
+    def cases(batches):
+        half, pi, out = SPIKE_WINDOW // 2, float(np.float32(np.pi)), ([], [])
+        for episode, robot, index, x, state in episodes(batches):
+            with np.errstate(all="ignore"):
+                bad = ~(np.abs(x) <= pi)  # also what isn't a number
+            flagged, n = bad.any(1), len(x)
+            course = np.where(np.isfinite(x), x, 1e9)
+            top = np.array([max(step.get((robot, j), (0.0, 0.0))[0], 1e-3) for j in range(JOINTS)])
+            if n > half:
+                padded = np.pad(course, ((half, half), (0, 0)), mode="reflect")
+                median = np.median(np.lib.stride_tricks.sliding_window_view(padded, SPIKE_WINDOW, axis=0), axis=-1)
+                spike = np.abs(course - median) > SPIKE * top
+                flagged |= spike.any(1)
+                course = np.where(spike, median, course)
+            if n >= HOLD:
+                same = x[1:] == x[:-1]
+                for j in np.flatnonzero(same.sum(0) >= HOLD - 1):
+                    if j in GRIPPERS:
+                        continue
+                    ends = np.flatnonzero(~same[:, j])
+                    starts = np.concatenate([[0], ends + 1])
+                    ends = np.concatenate([ends + 1, [n]])
+                    for a, z in zip(starts, ends):
+                        if z - a < HOLD:
+                            continue
+                        if step.get((robot, j), (0.0, 0.0))[1] > 0.3:  # coarse steps: it must be seen that it should have moved
+                            jumps = [abs(course[k, j] - x[a, j]) for k in (a - 1, z) if 0 <= k < n]
+                            own = [v[j] for v in state[a:z] if v is not None and v[j] is not None and np.isfinite(v[j])]
+                            if max([0, *jumps]) <= 1.5 * top[j] and (len(own) < 3 or max(own) - min(own) <= 2.5 * top[j]):
+                                continue
+                        flagged[a:z] = True
+            hits = np.unique(index[flagged]).tolist()
+            out[0].extend([episode] * len(hits))
+            out[1].extend(hits)
+        yield pd.DataFrame({"episode_index": out[0], "frame_index": out[1]}, dtype="int64")
+
+    return ordered(*readings.columns).mapInPandas(cases, "episode_index long, frame_index long")
+
+
+def magnitude_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes whose action_magnitude is impossible, far off the robot's others, or the same as in its neighbours."""
+    most = math.sqrt(JOINTS) * math.pi  # of 14 joints within ±pi
+    q = table(spark, d, "episode_quality").where("episode_index is not null and action_magnitude is not null").select("episode_index", "robot", F.col("action_magnitude").cast("double").alias("m")).distinct()
+    possible = F.col("m").between(0, most) & (F.col("m") > 0)
+    middle = q.where(possible).groupBy("robot").agg(F.percentile_approx("m", 0.5, 10_000).alias("middle"))
+    off = q.join(F.broadcast(middle), "robot", "left")
+    spread = off.where(possible).groupBy("robot").agg(F.percentile_approx(F.abs(F.col("m") - F.col("middle")), 0.5, 10_000).alias("spread"))
+    off = off.join(F.broadcast(spread), "robot", "left")
+    limit = FAR_OFF * F.greatest(1.4826 * F.col("spread"), 0.01 * F.col("middle"))
+    by = W.partitionBy("robot").orderBy("episode_index")
+    length = F.count_distinct("episode_index")
+    runs = q.withColumn("changed", F.when(F.col("m") == F.lag("m").over(by), 0).otherwise(1)).withColumn("run", F.sum("changed").over(by))
+    long = runs.groupBy("robot", "run").agg(length.alias("n"), F.collect_list("episode_index").alias("all")).where(F.col("n") >= SAME).select(F.explode("all").alias("episode_index"))
+    return off.where(~possible | (F.abs(F.col("m") - F.col("middle")) > limit)).select("episode_index").unionAll(long).distinct()
+
+
+def implausible(spark: SparkSession, d: str) -> DataFrame:
+    """Frames and episodes with values implausible for their robot."""
+    frames = joint_cases(spark, d).distinct().select(F.lit("frames").alias("source_table"), "episode_index", "frame_index")
+    return frames.unionAll(magnitude_cases(spark, d).select(F.lit("episode_quality").alias("source_table"), "episode_index", F.lit(-1).cast("long").alias("frame_index")))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 

@@ -1,0 +1,103 @@
+"""Each operator of queries() on a few rows with a known result; none of them existed before."""
+
+import datetime as dt
+import math
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parents[1]))
+from pyspark.sql import SparkSession  # noqa: E402
+
+import __spark_entry__ as entry  # noqa: E402
+from episodelake.texts import finder  # noqa: E402
+
+AT = dt.datetime(2024, 3, 5)
+FRAMES = "episode_index long, frame_index long, task_index long, timestamp float, action array<float>, `observation.state` array<float>, robot string, ingested_at timestamp_ntz"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    s = SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+    yield s
+    s.stop()
+
+
+@pytest.fixture
+def run(spark, tmp_path):
+    def query(name, **tables):
+        for t, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
+        return [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+
+    return query
+
+
+def frame(episode, i, task=1, t=0.0, action=None, robot="007"):
+    return (episode, i, task, t, action, None, robot, AT)
+
+
+def test_p1(run):
+    course = [[0.01 * ((i * (j + 3)) % 17 - 8) + 0.001 * i for j in range(14)] for i in range(60)]
+    spiked = [list(x) for x in course]
+    spiked[20][2] += 1.5
+    for i in range(35, 45):
+        spiked[i][4] = 0.5
+    spiked[55][0] = 4.0
+    rows = [frame(e, i, action=a) for e in (1, 3, 4, 5, 6, 7) for i, a in enumerate(course)] + [frame(2, i, action=a) for i, a in enumerate(spiked)]
+    quality = [(e, "007", 1.0 + 0.01 * (e % 5), AT) for e in range(20)] + [(50, "007", 9.0, AT), (51, "007", None, AT)] + [(60 + e, "007", 1.015, AT) for e in range(6)]
+    got = run("p1_found", frames=(rows, FRAMES), episode_quality=(quality, "episode_index long, robot string, action_magnitude float, ingested_at timestamp_ntz"))
+    assert sorted(x[1:] for x in got if x[0] == "frames") == [(2, 20), *((2, i) for i in range(35, 45)), (2, 55)]
+    assert sorted(x[1:] for x in got if x[0] == "episode_quality") == [(50, -1), *((60 + e, -1) for e in range(6))]
+
+
+def test_p2(run):
+    times = [0.0, 0.1, 0.4, 0.4, -1.0, math.nan, None]
+    assert sorted(run("p2_found", frames=([frame(7, i, t=t) for i, t in enumerate(times)], FRAMES), robots=([("007", 10)], "robot string, fps long"))) == [(7, 2), (7, 3)]
+
+
+def test_p3(run):
+    later, key = AT + dt.timedelta(days=40), "episode_index long, ingested_at timestamp_ntz"
+    episodes = [(1, 2, False, AT), (2, 1, False, AT), (2, 1, True, later), (3, 5, True, AT), (3, 5, False, later)]
+    got = run(
+        "p3_found", frames=([frame(1, 0), frame(1, 1), frame(2, 0)], FRAMES), sync=([(9, later), (9, AT), (None, AT)], key), episode_quality=([(1, AT)], key),
+        episodes=(episodes, "episode_index long, num_frames long, is_deleted boolean, ingested_at timestamp_ntz"), episode_meta=([(1, 3, AT)], "episode_index long, length long, ingested_at timestamp_ntz"),
+    )
+    month = "2024-03"
+    assert sorted(got) == [("episode_meta", "frames", 1, month), ("episodes", "episode_meta", 3, month), ("episodes", "frames", 3, month), ("frames", "episodes", 2, month), ("sync", "episodes", 9, month)]
+
+
+def test_p4(run):
+    months = [AT + dt.timedelta(days=31 * k) for k in range(3)]
+    quality = [(e, "a", float(e), months[e % 3]) for e in range(1, 100)] + [(5, "a", 5.0, months[0]), (200, "a", math.nan, AT), (201, "a", None, AT)]
+    sync = [(1, "a", 0.5, -2.0, AT)]
+    got = run("p4_percentiles", episode_quality=(quality, "episode_index long, robot string, action_magnitude float, ingested_at timestamp_ntz"), sync=(sync, "episode_index long, robot string, max_gap_s double, drift_ms double, ingested_at timestamp_ntz"))
+    half = {metric: (n, value) for _, metric, n, p, value, _ in got if p == 0.5}
+    assert half == {"episode_quality.action_magnitude": (99, 50.0), "sync.max_gap_s": (1, 0.5), "sync.drift_ms": (1, -2.0)}
+
+
+def test_p5(run):
+    rows = [frame(1, 0, 4), frame(1, 1, 7), frame(2, 0, 7), frame(2, 1, 9), frame(3, 0, -1), frame(3, 1, 2), frame(4, 0, -1), frame(4, 1, 3), frame(4, 2, None)]
+    assert sorted(run("p5_found", frames=(rows, FRAMES))) == [(4, 7), (4, 9), (7, 9)]
+
+
+def test_p6(run):
+    got = dict(run("p6_ids", documents=([(1, None), (2, ""), (3, "Hello world"), (4, "<|endoftext|>")], "doc_id long, text string")))
+    assert got[1] == got[2] == [] and got[3] == [15496, 995] and 50256 not in got[4] and len(got[4]) > 1
+
+
+def test_p7(run):
+    texts = [(i, "x y" * (1 + i % 3), " A" if i % 2 else "b") for i in range(40)] + [(99, "gone", "c"), (100, "no", None)]
+    got = run("p7_mixture", documents=(texts, "doc_id long, text string, source string"), mix_targets=([("a", 0.3, 2), ("b", 0.1, 1), ("none", 0.4, 5)], "source string, target_weight double, max_repeats int"))
+    assert {r[1] for r in got} == {"a", "b"} and max(r[3] for r in got if r[1] == "a") <= 2 and max(r[3] for r in got if r[1] == "b") == 1
+    assert all(abs(target - actual) < 0.02 for *_, target, actual in got)
+
+
+def test_p8():
+    text = 'By Dr. Veë L. Umbbruck-Moréval, v.u@x.example, or k (at) y [dot] test, +1-233-555-0122; ssn 996-82-0390\nlot = \'996-82-0390\'\ngit clone git@code.x.example:a/b.git kit@0.39.9\n  12 Thornlow Street, Calle Fern 229, Hazelweg 4'
+    find = finder({"Veë"}, {"Umbbruck", "Moréval"})
+    assert [(k, text[a:b]) for a, b, k in find(text)] == [
+        ("person_name", "Veë L. Umbbruck-Moréval"), ("email", "v.u@x.example"), ("email", "k (at) y [dot] test"), ("phone", "+1-233-555-0122"), ("id_number", "996-82-0390"),
+        ("street_address", "12 Thornlow Street"), ("street_address", "Calle Fern 229"), ("street_address", "Hazelweg 4"),
+    ]
