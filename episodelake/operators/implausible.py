@@ -32,7 +32,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from episodelake.functions.batches import bounds, matrix, ragged, whole_groups
 from episodelake.sources import table
@@ -50,21 +50,23 @@ HOLD, HOLD_TOGETHER = 7, 5
 STILL = 0.3
 #: Robust deviations of a level that are too many; equal values in a row that are too many.
 FAR_OFF, SAME = 5.0, 6
-#: The quantile of a source's steps that counts as its usual step, the bins' ratio, and the smallest scale.
-USUAL, BIN, LEAST, ZERO = 0.99, 1.05, 1e-3, -10_000
+#: The quantile of a source's steps that counts as its usual step, the bins' ratio and number on either side of 1, the smallest scale.
+USUAL, BIN, WIDTH, LEAST = 0.99, 1.05, 400, 1e-3
+LOG = math.log(BIN)
 LIMIT = float(np.float32(np.pi))
 
 
+def block_of(order: str) -> tuple[Column, Column]:
+    """A reading's own block (the first also has what is below 0), and that and the neighbours within HALO of it."""
+    at, own = F.col(order), F.greatest(F.floor(F.col(order) / BLOCK), F.lit(0))
+    into = at - own * BLOCK
+    return own, F.array_compact(F.array(own, F.when((own > 0) & (into < HALO), own - 1), F.when(into >= BLOCK - HALO, own + 1)))
+
+
 def blocks(df: DataFrame, series: str, order: str) -> DataFrame:
     """df with `block` and `home`; readings within HALO of another block are there once more, not at home. Sorted within."""
-    at = F.col(order)
-    own = F.floor(at / BLOCK)
-    more = F.array(
-        own,
-        F.when(F.pmod(at, F.lit(BLOCK)) < HALO, own - 1),
-        F.when(F.pmod(at, F.lit(BLOCK)) >= BLOCK - HALO, own + 1),
-    )
-    out = df.withColumn("block", F.explode(F.array_compact(more))).withColumn("home", F.col("block") == own)
+    own, all_ = block_of(order)
+    out = df.withColumn("block", F.explode(all_)).withColumn("home", F.col("block") == own)
     return out.repartition(series, "block").sortWithinPartitions(series, "block", order, *(c for c in ("timestamp",) if c in df.columns))
 
 
@@ -80,26 +82,33 @@ def forward(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 
 def bins(size: np.ndarray) -> np.ndarray:
+    """0 for a size of 0, else a logarithmic bin from 1."""
     with np.errstate(all="ignore"):
-        return np.where(size > 0, np.ceil(np.log(size) / np.log(BIN)), ZERO)
+        return np.where(size > 0, np.clip(np.ceil(np.log(size) / LOG), -WIDTH, WIDTH) + WIDTH + 1, 0).astype(np.int64)
 
 
-def fit_block(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted sums of the steps' regression (5 per channel) and the residuals' sizes, after reweighting within the block."""
+def size_of(b: int | None) -> float:
+    return 0.0 if not b else BIN ** (b - WIDTH - 1)
+
+
+def fit_block(y: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of the steps' regression (5 per channel) and the residuals' sizes at home, after reweighting within the block."""
     d = np.diff(y, axis=0)
     if len(d) < 3:
         return np.zeros((5, y.shape[1])), np.empty((0, y.shape[1]))
     now, one, two = d[2:], d[1:-1], d[:-2]
+    far = np.maximum(np.abs(one), np.abs(two)) / 2
     w = np.ones_like(now)
-    for _ in range(3):
-        sums = np.stack([(w * one * one).sum(0), (w * one * two).sum(0), (w * two * two).sum(0), (w * now * one).sum(0), (w * now * two).sum(0)])
+    for last in (False, False, True):
+        wo, wt = w * one, w * two
+        sums = np.stack([(wo * one).sum(0), (wo * two).sum(0), (wt * two).sum(0), (wo * now).sum(0), (wt * now).sum(0)])
+        if last:
+            return sums, left[home[3:]]
         a, b = solve(sums)
         left = np.abs(now - a * one - b * two)
         scale = np.maximum(1.4826 * np.median(left, axis=0), 1e-6)
         # Huber's weight, also for outlying regressors: a spike is in three residuals, and two of them have it as regressor.
-        far = np.maximum(np.maximum(left, np.abs(one) / 2), np.abs(two) / 2)
-        w = np.minimum(1.0, 3.0 * scale / np.maximum(far, 1e-12))
-    return np.stack([(w * one * one).sum(0), (w * one * two).sum(0), (w * two * two).sum(0), (w * now * one).sum(0), (w * now * two).sum(0)]), left
+        w = np.minimum(1.0, 3.0 * scale / np.maximum(np.maximum(left, far), 1e-12)) * home[3:, None]
 
 
 def solve(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,23 +129,25 @@ def normal_behaviour(readings: DataFrame, channels: int, limit: float) -> dict[t
         import pyarrow as pa
 
         total: dict = {}
+        width = 2 * WIDTH + 2
+        column = np.arange(channels) * width
         for source, x, home, _, _, _ in series(batches, channels):
             with np.errstate(all="ignore"):
                 ok = np.abs(x) <= limit
-            y = forward(x, ok)
-            own, left = fit_block(y)
-            for j in range(channels):
-                for k in range(5):
-                    total[source, j, "ar", k] = total.get((source, j, "ar", k), 0.0) + own[k, j]
-            moved = np.abs(np.diff(x, axis=0))
+                moved = np.abs(np.diff(x, axis=0))
+            own, left = fit_block(forward(x, ok), home)
+            if source not in total:
+                total[source] = [np.zeros((5, channels)), *(np.zeros(channels * width, np.int64) for _ in range(2))]
             told = ok[1:] & ok[:-1] & home[1:, None]
-            step, rest = bins(moved), bins(left)
-            for j in range(channels):
-                for kind, v in (("step", step[told[:, j], j]), ("left", rest[:, j])):
-                    which, n = np.unique(v, return_counts=True)
-                    for k, m in zip(which.tolist(), n.tolist()):
-                        total[source, j, kind, int(k)] = total.get((source, j, kind, int(k)), 0.0) + m
-        rows = [(*k, v) for k, v in total.items()]
+            t = total[source]
+            t[0] += own
+            t[1] += np.bincount((bins(moved) + column)[told], minlength=channels * width)
+            t[2] += np.bincount((bins(left) + column).ravel(), minlength=channels * width)
+        rows = []
+        for source, (ar, *counts) in total.items():
+            rows += [(source, j, "ar", k, float(ar[k, j])) for j in range(channels) for k in range(5)]
+            for kind, n in zip(("step", "left"), counts):
+                rows += [(source, i // width, kind, i % width, float(n[i])) for i in np.flatnonzero(n).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64()))], names=["source", "channel", "kind", "bin", "v"])
 
     parts = readings.select("series", "at", "block", "home", "source", *(c for c in readings.columns if c in ("timestamp",)), "x").mapInArrow(sums, "source string, channel int, kind string, bin int, v double")
@@ -147,16 +158,15 @@ def normal_behaviour(readings: DataFrame, channels: int, limit: float) -> dict[t
     at = lambda kind, q: F.min(F.when(of(kind) & (F.col("below") >= q), F.col("bin")))
     rows = ranked.groupBy("source", "channel").agg(
         at("step", USUAL).alias("step"),
-        F.max(F.when(of("step") & (F.col("bin") == ZERO), F.col("below"))).alias("still"),
+        F.max(F.when(of("step") & (F.col("bin") == 0), F.col("below"))).alias("still"),
         at("left", 0.5).alias("left"),
         *(F.max(F.when(of("ar") & (F.col("bin") == k), F.col("v"))).alias(f"s{k}") for k in range(5)),
     )
-    size = lambda k: 0.0 if k is None or k == ZERO else BIN**k
     out = {}
     for r in rows.collect():  # a row per source and channel, of which there is a fixed number (robots x joints)
         a, b = solve(np.array([[r[f"s{k}"] or 0.0] for k in range(5)]))
-        step = max(size(r["step"]), LEAST)
-        out[r["source"], r["channel"]] = {"step": step, "still": r["still"] or 0.0, "scale": max(1.4826 * size(r["left"]), step / 4), "a": float(a[0]), "b": float(b[0])}
+        step = max(size_of(r["step"]), LEAST)
+        out[r["source"], r["channel"]] = {"step": step, "still": r["still"] or 0.0, "scale": max(1.4826 * size_of(r["left"]), step / 4), "a": float(a[0]), "b": float(b[0])}
     return out
 
 
@@ -279,9 +289,9 @@ def level_cases(values: DataFrame, most: float) -> DataFrame:
     off = off.join(named(spread), same, "left").drop("_s").withColumn("scale", F.greatest(1.4826 * F.col("spread"), 0.01 * F.col("middle")))
     z = F.when(possible, (F.col("x") - F.col("middle")) / F.col("scale"))
     capped = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))  # Huber's psi: an outlier's neighbour isn't judged by it
-    cut = F.explode(F.array_compact(F.array(F.floor(F.col("at") / BLOCK), F.when(F.pmod("at", F.lit(BLOCK)) < HALO, F.floor(F.col("at") / BLOCK) - 1), F.when(F.pmod("at", F.lit(BLOCK)) >= BLOCK - HALO, F.floor(F.col("at") / BLOCK) + 1))))
-    off = off.withColumn("z", z).withColumn("psi", F.coalesce(capped, F.lit(0.0))).withColumn("possible", possible).withColumn("block", cut)
-    off = off.withColumn("home", F.col("block") == F.floor(F.col("at") / BLOCK))
+    own, all_ = block_of("at")
+    off = off.withColumn("z", z).withColumn("psi", F.coalesce(capped, F.lit(0.0))).withColumn("possible", possible).withColumn("block", F.explode(all_))
+    off = off.withColumn("home", F.col("block") == own)
     by = W.partitionBy("source", "block").orderBy("at", "x")
     off = off.withColumn("past", F.coalesce(F.lag("psi").over(by), F.lit(0.0))).withColumn("new", F.when(F.col("x") == F.lag("x").over(by), 0).otherwise(1))
     off = off.withColumn("run", F.sum("new").over(by))
