@@ -56,3 +56,32 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return cut.join(c, same, "left").select(*df.columns, *((F.col(f"_c_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums))
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], shard: Column) -> DataFrame:
+    """df with, for each name of values, its value in the row before (null in a key's first row), and `has_previous`.
+
+    `shard` puts a key's rows into shards that follow the order. Inside a shard it's a lag; a shard's first row gets what the
+    prefix scan carries in. Ties of `order` are taken as they come."""
+    own = df.withColumn("_shard", shard.cast("long"))
+    inside = Window.partitionBy(*keys, "_shard").orderBy(*order)
+    packed = F.struct(*(c.alias(n) for n, c in values.items()))
+    own = own.withColumn("_packed", packed).withColumn("_lag", F.lag("_packed").over(inside)).withColumn("_n", F.row_number().over(inside))
+    last = own.groupBy(*keys, "_shard").agg(F.max_by("_packed", F.col("_n")).alias("_last"))
+    carried = prefix(last, keys, "_shard", lasts={"_before": F.col("_last")})
+    c = carried.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_shard").alias("_ks"), "_before")
+    same = F.col("_shard").eqNullSafe(F.col("_ks"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = own.join(c, same, "left").withColumn("_prev", F.coalesce("_lag", "_before"))
+    return joined.select(*df.columns, *(F.col("_prev").getField(n).alias(n) for n in values), F.col("_prev").isNotNull().alias("has_previous"))
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], breaks: Column, shard: Column) -> DataFrame:
+    """df with `island`: how many rows of its key up to and with it `breaks` off from the row before. In `breaks` the names
+    of values are the previous row's; a key's first row never breaks off."""
+    told = previous(df, keys, order, values, shard)
+    flag = F.when(F.col("has_previous") & breaks, 1).otherwise(0)
+    told = told.withColumn("_break", flag).drop(*values, "has_previous")
+    before = running(told, keys, order, {"_before": F.col("_break")}, shard)
+    return before.withColumn("island", F.col("_before") + F.col("_break")).drop("_before", "_break")

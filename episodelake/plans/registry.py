@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodelake.operators import grid, implausible, references
+from episodelake.operators import grid, implausible, references, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,10 @@ PROBLEMS: dict[str, tuple[Query, str | None]] = {
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
-    return dict(PROBLEMS)
+    out = dict(PROBLEMS)
+    for module in (warehouse,):
+        out |= module.QUERIES
+    return out
 
 
 def queries() -> dict[str, Query]:
