@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from episodelake.sources.tables import quoted
+
 #: Summaries that one task scans at a time.
 BLOCK = 1024
 
@@ -33,7 +35,7 @@ def prefix(summaries: DataFrame, keys: list[str], shard: str, sums: dict[str, Co
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_b_{k}"))
     return own.join(b, same, "left").select(
-        *summaries.columns,
+        *map(quoted, summaries.columns),
         *((F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_of_{n}", F.lit(0))).alias(n) for n in sums),
         *(F.coalesce(f"_in_{n}", f"_of_{n}").alias(n) for n in lasts),
     )
@@ -55,7 +57,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     same = F.col("_shard").eqNullSafe(F.col("_ks"))
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return cut.join(c, same, "left").select(*df.columns, *((F.col(f"_c_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums))
+    return cut.join(c, same, "left").select(*map(quoted, df.columns), *((F.col(f"_c_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums))
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], shard: Column) -> DataFrame:
@@ -74,7 +76,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = own.join(c, same, "left").withColumn("_prev", F.coalesce("_lag", "_before"))
-    return joined.select(*df.columns, *(F.col("_prev").getField(n).alias(n) for n in values), F.col("_prev").isNotNull().alias("has_previous"))
+    return joined.select(*map(quoted, df.columns), *(F.col("_prev").getField(n).alias(n) for n in values), F.col("_prev").isNotNull().alias("has_previous"))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], breaks: Column, shard: Column) -> DataFrame:

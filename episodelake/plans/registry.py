@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodelake.operators import grid, implausible, references, warehouse
+from episodelake.operators import detectors, grid, health, implausible, logs, partitions, references, sampling, schemas, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ PROBLEMS: dict[str, tuple[Query, str | None]] = {
 
 def registered() -> dict[str, tuple[Query, str | None]]:
     out = dict(PROBLEMS)
-    for module in (warehouse,):
+    for module in (warehouse, detectors, health, partitions, logs, sampling, schemas):
         out |= module.QUERIES
     return out
 
