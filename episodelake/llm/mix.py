@@ -4,7 +4,8 @@ A text may be in several sources. The k-th copies of a text in its sources are o
 each time it is taken; records with the same set of sources are a pattern. Sizes (tokens of byte_bpe_50k) are summed by
 pattern, and a min-cost flow routes them: from patterns, whose first round costs nothing and each further round of
 repetition one more than the last (convex), over sources, at most max_repeats rounds each, to the sources' quotas. The whole is the
-largest at which the flow meets every quota, unless a total is given. There are at most 2**sources patterns (and no
+largest at which the flow meets every quota, unless a total is given; where single large records don't fit their quota, smaller
+wholes are tried, and the one nearest the targets is taken. There are at most 2**sources patterns (and no
 more than records), so the flow is solved on the driver by successive shortest paths.
 
 Records are then selected: those of more than 1/LARGE of their pattern (fewer than LARGE each) one by one, largest first; the
@@ -28,6 +29,8 @@ from episodelake.sources import table
 from episodelake.sources.tables import cut
 
 SEED, LARGE = 20240305, 200
+#: Wholes that are tried where large records don't fit, and the distance from the targets at which that ends.
+TRIES, NEAR = 12, 1e-3
 
 
 def source_name(column: str) -> Column:
@@ -115,6 +118,24 @@ def large_copies(size: int, wanted: float, rest: int, most: int, even: float) ->
     return min(most, over if over * size - wanted < wanted - short * size - most * rest else short)
 
 
+def routed_large(whole: float, capacity: dict, repeats: dict[str, int], share: dict[str, float], large: list[tuple]) -> tuple[dict, dict, dict, list, dict]:
+    """The flow of a whole; with its large records given out: what is left of patterns and of routes, the copies, and each source's tokens."""
+    routed = flow(capacity, repeats, {s: x * whole for s, x in share.items()})
+    rest, left, by_hand = dict(capacity), dict(routed), []
+    for p, size, record in large:
+        rest[p] -= size
+        taken, most = 0, max(repeats[s] for s in p)
+        for s in sorted(p, key=lambda s: (-left[p, s], s)):
+            k = min(most - taken, large_copies(size, left[p, s], rest[p], repeats[s], routed[p, s] / capacity[p]))
+            left[p, s] -= k * size
+            taken += k
+            by_hand.append((record, s, k))
+    reached = {s: 0.0 for s in share}
+    for (p, s), v in left.items():
+        reached[s] += routed[p, s] - v + min(max(v, 0.0), float(rest[p] * repeats[s]))
+    return routed, rest, left, by_hand, reached
+
+
 def records(documents: DataFrame, wanted: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """doc_id, source, record, pattern, n_tokens of the documents with tokens in wanted sources."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name("source").alias("source"), "text").where("length(text) > 0")
@@ -149,22 +170,24 @@ def plan(documents: DataFrame, mix_targets: DataFrame, total: float | None = Non
         return spark.createDataFrame([], schema), wanted
     weights = sum(named[s][0] for s in there)
     share, repeats = {s: named[s][0] / weights for s in there}, {s: named[s][1] for s in there}
-    whole = largest_whole(capacity, repeats, share) if total is None else float(total)
-    routed = flow(capacity, repeats, {s: x * whole for s, x in share.items()})
-
     # Large records, one by one.
     weight = spark.createDataFrame([(list(p), w) for p, w in capacity.items()], "pattern array<string>, w long")
     is_large = F.col("n_tokens") * LARGE > F.col("w")
     large = [(tuple(r["pattern"]), r["n_tokens"], r["record"]) for r in one.join(F.broadcast(weight), "pattern").where(is_large).collect()]  # fewer than LARGE a pattern
-    rest, left, by_hand = dict(capacity), dict(routed), []
-    for p, size, record in sorted(large, key=lambda r: (-r[1], r[2])):
-        rest[p] -= size
-        taken, most = 0, max(repeats[s] for s in p)
-        for s in sorted(p, key=lambda s: (-left[p, s], s)):
-            k = min(most - taken, large_copies(size, left[p, s], rest[p], repeats[s], routed[p, s] / capacity[p]))
-            left[p, s] -= k * size
-            taken += k
-            by_hand.append((record, s, k))
+    large.sort(key=lambda r: (-r[1], r[2]))
+    whole = largest_whole(capacity, repeats, share) if total is None else float(total)
+    best = None
+    for _ in range(TRIES if total is None else 1):
+        tried = routed_large(whole, capacity, repeats, share, large)
+        reached = tried[4]
+        off = max(abs(reached[s] / max(sum(reached.values()), 1e-9) - x) for s, x in share.items())
+        if best is None or off < best[0] - 1e-4:
+            best = (off, tried)
+        part = min(reached[s] / (x * whole) if x * whole else 1.0 for s, x in share.items())
+        if off < NEAR or not 0 < part < 1:
+            break
+        whole *= part  # whole records can't give a source its quota: a smaller whole, in which they may
+    routed, rest, left, by_hand, _ = best[1]
     # The others: whole rounds, and a stretch of the pattern's order for what is left of a round.
     stretches = []
     for p, w in rest.items():

@@ -67,15 +67,12 @@ def test_linked_tasks_and_splits(spark, run):
     assert sorted(run("p5_found", **tables)) == [(4, 7), (4, 9), (7, 9)]
     got = run("p5_split", **tables)
     assert len(got) == len(rows)
-    by = {r[0] if isinstance(r[0], int) and False else r[1]: None for r in got}
-    assert by is not None
-    of = {tuple(sorted(map(str, r[:-1]))): r[-1] for r in got}
-    assert set(of.values()) <= set(splits.SHARES)
+    assert {r[-1] for r in got} <= set(splits.SHARES)
     assert run("p5_found", frames=([], FRAMES)) == [] and run("p5_split", frames=([], FRAMES)) == []
 
 
 def test_components_of_a_long_chain(spark):
-    n = 400
+    n = 150
     order = list(range(n))
     random.Random(4).shuffle(order)
     chain = [(f"n{a:04d}", f"n{b:04d}") for a, b in zip(order[:-1], order[1:])] + [("x1", "x2")]
