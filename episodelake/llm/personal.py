@@ -101,7 +101,7 @@ class Finder:
         before = lambda words: re.compile(rf"(?i)(?:^|[^\w])(?:{words})(?:[ _]?(?:id|no|nr|number|file))?\.?(?: on file)?[\W_]{{0,6}}$")
         self.before = {k: before(w) for k, w in (("email", MAIL), ("phone", PHONE), ("id_number", IDENTITY), ("street_address", PLACE), ("person_name", PERSON), ("other", OTHER))}
         self.sent = re.compile(r"(?i)\b(?:ship|send|deliver|envoyer|colis|senden|schicken|enviar|enviad|mandar)\w*\b[^\n]{0,40}$")
-        self.lot = re.compile(r"(?i)^\W{0,6}#? ?(?:lot|run|order|batch|job|serial)\b")
+        self.lot = re.compile(r"(?i)^[^\w\n]{0,6}(?:lot|run|order|batch|job|serial)\b")
         self.remote = re.compile(r"^:[\w~/]")
         self.town = re.compile(r"^[.,]?(?: ?#\d+| (?:Flat|Apt|Unit|Suite)\.? \w+)?,?(?:[ ]|\r?\n)*(?:\d{5}|[A-ZÀ-Þ])")
         self.title = re.compile(r"(?i)^\W{0,3}(?:section|chapter|table|figure|step|exercise)s?\b")

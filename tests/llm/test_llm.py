@@ -267,6 +267,12 @@ def test_personal_information(spark):
     assert personal.mentions(docs.where("doc_id < 0"), names).collect() == []
 
 
+def test_labels_of_the_next_line_are_of_something_else():
+    find = personal.Finder(GIVEN, FAMILY)
+    votes = lambda text: next(v for _, _, kind, v in find.candidates(text) if kind == "id_number")
+    assert votes("cfg['dni'] = 'QQ 37 43 78 C'\nlot = '8'")[1] == 0 and votes("x = '813-28-9048'  # lot no. of the tide")[1] == -1
+
+
 def test_reliabilities_find_the_better_labeler():
     r = np.random.default_rng(3)
     counts = {}
