@@ -11,10 +11,13 @@ With that, each block is scored by itself:
 * spike: where the residual is far beyond the source's scale, an additive outlier (the series returns to its course
   within MOST readings, as far from it as SPIKE usual steps) is tested against a level shift (it doesn't return). An
   additive outlier is flagged and bridged, a level shift is accepted as the new course, and the test is run again until
-  nothing more is found;
-* stuck: HOLD or more equal readings in a row. In a source that often stands still in normal work (coarse steps, grippers)
-  a run is flagged only if something shows that it should have moved: a jump when it ends or begins, movement of the
-  measured state meanwhile, or HOLD_TOGETHER channels held over exactly the same stretch.
+  nothing more is found. An excursion that the measured state goes along with is a movement, not a spike;
+* stuck: HOLD or more readings in a row that differ by no more than a sensor's jitter (NEAR usual steps). In a source that
+  often stands still in normal work (coarse steps, grippers) a run is flagged only if something shows that it should have
+  moved: the measured state is away from it for HOLD readings, or, where the state doesn't tell, a
+  jump when it ends or begins, or HOLD_TOGETHER channels held over exactly the same stretch.
+
+How closely the measured state follows the readings, at once or a reading later, is part of a source's normal behaviour.
 
 Series that have no course (an episode's magnitude among a robot's episodes) use the same tests about the source's
 level: deviation from the robust mean and its first-order autoregression in robust deviations (FAR_OFF), impossible values, and runs of SAME equal
@@ -46,6 +49,10 @@ MOST, SPIKE = 4, 5.0
 RESIDUAL = 4.0
 #: Equal readings in a row that are no longer normal; channels held over the same stretch that leave no doubt.
 HOLD, HOLD_TOGETHER = 7, 5
+#: Usual steps by which readings of a stuck run differ at most from its middle: a stuck sensor may still jitter.
+NEAR = 0.015
+#: Deviations of the measured state from a reading at which it doesn't follow it.
+LEFT = 3.0
 #: Share of steps of size 0 from which a source is taken to stand still in normal work.
 STILL = 0.3
 #: Robust deviations of a level that are too many; equal values in a row that are too many.
@@ -122,8 +129,19 @@ def solve(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+#: What is counted in bins: steps, residuals, deviations of the state of the same and of the next reading.
+KINDS = ("step", "left", "state0", "state1")
+
+
+def apart(x: np.ndarray, state: np.ndarray, later: int) -> np.ndarray:
+    """How far the state `later` readings on is from each reading; the last `later` readings have none."""
+    with np.errstate(all="ignore"):
+        return np.abs(x[: len(x) - later] - state[later:])
+
+
 def normal_behaviour(readings: DataFrame, channels: int, limit: float) -> dict[tuple[str | None, int], dict]:
-    """By source and channel: usual step, share of steps that are 0, residual scale, coefficients. From all readings."""
+    """By source and channel: usual step, share of steps that are 0, residual scale, coefficients, how the state follows
+    (readings later, deviation; null without states). From all readings."""
 
     def sums(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -131,26 +149,29 @@ def normal_behaviour(readings: DataFrame, channels: int, limit: float) -> dict[t
         total: dict = {}
         width = 2 * WIDTH + 2
         column = np.arange(channels) * width
-        for source, x, home, _, _, _ in series(batches, channels):
+        for source, x, home, _, state, _ in series(batches, channels):
             with np.errstate(all="ignore"):
                 ok = np.abs(x) <= limit
                 moved = np.abs(np.diff(x, axis=0))
             own, left = fit_block(forward(x, ok), home)
             if source not in total:
-                total[source] = [np.zeros((5, channels)), *(np.zeros(channels * width, np.int64) for _ in range(2))]
+                total[source] = [np.zeros((5, channels)), *(np.zeros(channels * width, np.int64) for _ in KINDS)]
             told = ok[1:] & ok[:-1] & home[1:, None]
             t = total[source]
             t[0] += own
             t[1] += np.bincount((bins(moved) + column)[told], minlength=channels * width)
             t[2] += np.bincount((bins(left) + column).ravel(), minlength=channels * width)
+            for later in (0, 1) if state is not None else ():
+                off, told = apart(x, state, later), (ok & home[:, None])[: len(x) - later]
+                t[3 + later] += np.bincount((bins(off) + column)[told & np.isfinite(off)], minlength=channels * width)
         rows = []
         for source, (ar, *counts) in total.items():
             rows += [(source, j, "ar", k, float(ar[k, j])) for j in range(channels) for k in range(5)]
-            for kind, n in zip(("step", "left"), counts):
+            for kind, n in zip(KINDS, counts):
                 rows += [(source, i // width, kind, i % width, float(n[i])) for i in np.flatnonzero(n).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64()))], names=["source", "channel", "kind", "bin", "v"])
 
-    parts = readings.select("series", "at", "block", "home", "source", *(c for c in readings.columns if c in ("timestamp",)), "x").mapInArrow(sums, "source string, channel int, kind string, bin int, v double")
+    parts = readings.select("series", "at", "block", "home", "source", *(c for c in readings.columns if c in ("timestamp", "state")), "x").mapInArrow(sums, "source string, channel int, kind string, bin int, v double")
     whole = parts.groupBy("source", "channel", "kind", "bin").agg(F.sum("v").alias("v"))
     by = W.partitionBy("source", "channel", "kind")  # a few hundred bins each
     ranked = whole.withColumn("below", F.try_divide(F.sum("v").over(by.orderBy("bin")), F.sum("v").over(by)))
@@ -160,6 +181,7 @@ def normal_behaviour(readings: DataFrame, channels: int, limit: float) -> dict[t
         at("step", USUAL).alias("step"),
         F.max(F.when(of("step") & (F.col("bin") == 0), F.col("below"))).alias("still"),
         at("left", 0.5).alias("left"),
+        *(at(f"state{k}", 0.5).alias(f"state{k}") for k in (0, 1)),
         *(F.max(F.when(of("ar") & (F.col("bin") == k), F.col("v"))).alias(f"s{k}") for k in range(5)),
     )
     out = {}
@@ -167,6 +189,9 @@ def normal_behaviour(readings: DataFrame, channels: int, limit: float) -> dict[t
         a, b = solve(np.array([[r[f"s{k}"] or 0.0] for k in range(5)]))
         step = max(size_of(r["step"]), LEAST)
         out[r["source"], r["channel"]] = {"step": step, "still": r["still"] or 0.0, "scale": max(1.4826 * size_of(r["left"]), step / 4), "a": float(a[0]), "b": float(b[0])}
+        follows = [(size_of(r[f"state{k}"]), k) for k in (0, 1) if r[f"state{k}"] is not None]
+        off, later = min(follows, default=(None, 0))
+        out[r["source"], r["channel"]] |= {"later": later, "follows": None if off is None else max(1.4826 * off, step / 20)}
     return out
 
 
@@ -210,32 +235,82 @@ def outliers(y: np.ndarray, n: dict) -> np.ndarray:
             return hit
 
 
-def held(x: np.ndarray, y: np.ndarray, state: np.ndarray | None, normal: list[dict], resting: tuple[int, ...]) -> np.ndarray:
-    """Which readings are in a stuck run of some channel."""
-    n, out = len(x), np.zeros(len(x), bool)
+def followed(hit: np.ndarray, x: np.ndarray, course: np.ndarray, state: np.ndarray, n: dict) -> np.ndarray:
+    """Which readings are in a stretch of hits that the measured state goes along with, and not with the course bridged there."""
+    out = np.zeros(len(hit), bool)
+    if n.get("follows") is None:
+        return out
+    near, told = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
+    off, end = apart(x, state, n["later"]), len(x) - n["later"]
+    near[:end] = (off <= LEFT * n["follows"]) & (apart(course, state, n["later"]) > LEFT * n["follows"])
+    told[:end] = np.isfinite(off)
+    cuts = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+    for a, z in zip(cuts[::2].tolist(), cuts[1::2].tolist()):
+        out[a:z] = 2 * near[a:z].sum() > told[a:z].sum()
+    return out
+
+
+def runs(y: np.ndarray, near: float) -> Iterator[tuple[int, int]]:
+    """Stretches of HOLD or more readings of one channel within `near` of their middle."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.abs(np.diff(y)) > near) + 1, [len(y)]])
+    for i in np.flatnonzero(np.diff(cuts) >= HOLD).tolist():
+        a, z = int(cuts[i]), int(cuts[i + 1])
+        # A normal reading at either end may be a small step away, and small steps may add up; what doesn't jitter has one value.
+        off = np.abs(y[a:z] - np.median(y[a:z]))
+        far = off > (0.0 if 2 * (off == 0).sum() > z - a else near)
+        ends = np.concatenate([[-1], np.flatnonzero(far), [z - a]])
+        k = int(np.diff(ends).argmax())
+        if ends[k + 1] - ends[k] - 1 >= HOLD:
+            yield a + int(ends[k]) + 1, a + int(ends[k + 1])
+
+
+def held(y: np.ndarray, ok: np.ndarray, state: np.ndarray | None, normal: list[dict], resting: tuple[int, ...]) -> np.ndarray:
+    """Which readings are in a stuck run of some channel; in y outliers are bridged, and readings that aren't ok filled."""
+    n, out = len(y), np.zeros(len(y), bool)
     if n < HOLD:
         return out
-    same = x[1:] == x[:-1]
-    runs: dict[tuple[int, int], list[int]] = {}
-    for j in np.flatnonzero(same.sum(0) >= HOLD - 1).tolist():
-        if j in resting:
-            continue
-        cuts = np.concatenate([[0], np.flatnonzero(~same[:, j]) + 1, [n]])
-        for i in np.flatnonzero(np.diff(cuts) >= HOLD).tolist():
-            runs.setdefault((int(cuts[i]), int(cuts[i + 1])), []).append(j)
-    for (a, z), js in runs.items():
+    near = NEAR * np.array([v["step"] for v in normal])
+    found: dict[tuple[int, int], list[int]] = {}
+    for j in np.flatnonzero((np.abs(np.diff(y, axis=0)) <= near).sum(0) >= HOLD - 1).tolist():
+        for a, z in () if j in resting else runs(y[:, j], near[j]):
+            if ok[a:z, j].sum() >= HOLD:
+                found.setdefault((a, z), []).append(j)
+    left: dict[int, list[int]] = {}
+    for (a, z), js in found.items():
         for j in js:
-            if normal[j]["still"] > STILL and len(js) < HOLD_TOGETHER:
-                step = normal[j]["step"]
-                jump = max([0.0, *(abs(y[k, j] - x[a, j]) for k in (a - 1, z) if 0 <= k < n)])
-                told = state[a:z, j][np.isfinite(state[a:z, j])] if state is not None else np.empty(0)
-                if jump <= 1.5 * step and (len(told) < 3 or np.ptp(told) <= 2.5 * step):
-                    continue
-            out[a:z] = True
-            break
+            if normal[j]["still"] <= STILL:
+                out[a:z] = True
+                break
+            follows, later = normal[j].get("follows"), normal[j].get("later", 0)
+            tells = state is not None and follows is not None and LEFT * follows <= 2 * normal[j]["step"]
+            told = state[a + later : z + later, j] if tells else np.empty(0)
+            told = told[np.isfinite(told)]
+            if len(told) >= HOLD:
+                if (np.abs(told - y[a:z, j].mean()) > LEFT * follows).sum() >= HOLD:
+                    left.setdefault(z, []).append(a)
+            elif len(js) >= HOLD_TOGETHER or max([0.0, *(abs(y[k, j] - y[a, j]) for k in (a - 1, z) if 0 <= k < n)]) > 1.5 * normal[j]["step"]:
+                out[a:z] = True
+                break
+    for z, begins in left.items():
+        out[max(begins) : z] = True  # channels stuck together have all of the stretch, and each its own rest before it
     return out
 
 
+def judge(x: np.ndarray, state: np.ndarray | None, n: list[dict], limit: float, resting: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which readings of a block are beyond the limit, spikes, in stuck runs."""
+    with np.errstate(all="ignore"):
+        ok = np.abs(x) <= limit
+    y = forward(x, ok)
+    bad, spike = ~ok.all(1), np.zeros(len(x), bool)
+    for j in np.flatnonzero((np.abs(np.diff(y, axis=0)) > np.array([v["step"] for v in n])).any(0)).tolist() if len(x) > 1 else ():
+        own = outliers(c := y[:, j].copy(), n[j])
+        if state is not None and own.any():
+            own &= ~followed(own, x[:, j], c, state[:, j], n[j])
+        y[own, j] = c[own]
+        spike |= own
+    return bad, spike, held(y, ok, state, n, resting)
+
+
 def score(readings: DataFrame, normal: dict, channels: int, limit: float, resting: tuple[int, ...]) -> DataFrame:
     """series, at, reason of every implausible reading at home in its block."""
     unknown = {"step": LEAST, "still": 0.0, "scale": LEAST, "a": 0.0, "b": 0.0}
@@ -244,16 +319,7 @@ def score(readings: DataFrame, normal: dict, channels: int, limit: float, restin
         import pyarrow as pa
 
         for source, x, home, at, state, which in series(batches, channels):
-            n = [normal.get((source, j), unknown) for j in range(channels)]
-            with np.errstate(all="ignore"):
-                ok = np.abs(x) <= limit
-            y = forward(x, ok)
-            bad, spike = ~ok.all(1), np.zeros(len(x), bool)
-            for j in np.flatnonzero((np.abs(np.diff(y, axis=0)) > np.array([v["step"] for v in n])).any(0)).tolist() if len(x) > 1 else ():
-                y[:, j], own = (c := y[:, j].copy()), outliers(c, n[j])
-                y[:, j] = c
-                spike |= own
-            stuck = held(x, y, state, n, resting)
+            bad, spike, stuck = judge(x, state, [normal.get((source, j), unknown) for j in range(channels)], limit, resting)
             reasons = [(r, at[f & home]) for r, f in (("limit", bad), ("spike", spike & ~bad), ("stuck", stuck & ~bad & ~spike))]
             total = sum(len(v) for _, v in reasons)
             if total:
@@ -268,9 +334,10 @@ def score(readings: DataFrame, normal: dict, channels: int, limit: float, restin
 def frame_cases(frames: DataFrame) -> DataFrame:
     """episode_index, frame_index, reason of the frames with an implausible joint reading; once per frame."""
     x = frames.where((F.size("action") == JOINTS) & F.col("episode_index").isNotNull() & F.col("frame_index").isNotNull())
-    ordered = lambda *more: blocks(x.select(F.col("episode_index").alias("series"), F.col("frame_index").alias("at"), F.col("robot").alias("source"), "timestamp", F.col("action").alias("x"), *more), "series", "at")
+    ordered = lambda: blocks(x.select(F.col("episode_index").alias("series"), F.col("frame_index").alias("at"), F.col("robot").alias("source"), "timestamp", F.col("action").alias("x"), F.col("`observation.state`").alias("state")), "series", "at")
+    # Sorted twice, not kept: the first one's shuffle can be cleared from the disks once the driver has collected its objects.
     normal = normal_behaviour(ordered(), JOINTS, LIMIT)
-    cases = score(ordered(F.col("`observation.state`").alias("state")), normal, JOINTS, LIMIT, GRIPPERS)
+    cases = score(ordered(), normal, JOINTS, LIMIT, GRIPPERS)
     # Different readings of one frame may be implausible in different ways: the first reason by name stays.
     return cases.groupBy("series", "at").agg(F.min("reason").alias("reason")).select(F.col("series").alias("episode_index"), F.col("at").alias("frame_index"), "reason")
 
