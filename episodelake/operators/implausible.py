@@ -38,7 +38,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from episodelake.functions.batches import bounds, matrix, ragged, whole_groups
+from episodelake.operators.carry import previous, running
 from episodelake.sources import table
+from episodelake.sources.tables import cut
 
 JOINTS, GRIPPERS = 14, (6, 13)
 #: Readings of a block, and how many of the neighbouring blocks it also sees.
@@ -356,19 +358,20 @@ def level_cases(values: DataFrame, most: float) -> DataFrame:
     off = off.join(named(spread), same, "left").drop("_s").withColumn("scale", F.greatest(1.4826 * F.col("spread"), 0.01 * F.col("middle")))
     z = F.when(possible, (F.col("x") - F.col("middle")) / F.col("scale"))
     capped = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))  # Huber's psi: an outlier's neighbour isn't judged by it
-    own, all_ = block_of("at")
-    off = off.withColumn("z", z).withColumn("psi", F.coalesce(capped, F.lit(0.0))).withColumn("possible", possible).withColumn("block", F.explode(all_))
-    off = off.withColumn("home", F.col("block") == own)
-    by = W.partitionBy("source", "block").orderBy("at", "x")
-    off = off.withColumn("past", F.coalesce(F.lag("psi").over(by), F.lit(0.0))).withColumn("new", F.when(F.col("x") == F.lag("x").over(by), 0).otherwise(1))
-    off = off.withColumn("run", F.sum("new").over(by))
-    slope = off.where("home").groupBy("source").agg(F.try_divide(F.sum(F.col("psi") * F.col("past")), F.sum(F.col("past") * F.col("past"))).alias("slope"))
+    off = off.withColumn("z", z).withColumn("psi", F.coalesce(capped, F.lit(0.0))).withColumn("possible", possible)
+    off = cut(off.select("source", "at", "x", "z", "psi", "possible"))  # used many times below: each would be planned anew
+    # A source's neighbours may be any distance apart in `at`, so they are carried over shards, not looked for in a halo.
+    order, shard = (["source"], ["at", "x"]), F.floor(F.col("at") / BLOCK)
+    off = previous(off, *order, {"before": F.col("x"), "past": F.col("psi")}, shard).withColumn("past", F.coalesce("past", F.lit(0.0)))
+    off = off.withColumn("new", F.when(F.col("has_previous") & (F.col("x") == F.col("before")), 0).otherwise(1))
+    off = cut(running(off, *order, {"earlier": F.col("new")}, shard).withColumn("run", F.col("earlier") + F.col("new")))
+    slope = off.groupBy("source").agg(F.try_divide(F.sum(F.col("psi") * F.col("past")), F.sum(F.col("past") * F.col("past"))).alias("slope"))
     off = off.join(named(slope), same, "left").drop("_s")
     left = F.abs(F.col("z") - F.coalesce("slope", F.lit(0.0)) * F.col("past"))
-    # A block's distinct positions, so also a run's, are BLOCK + 2 HALO at most.
-    length = F.size(F.collect_set("at").over(W.partitionBy("source", "block", "run")))
-    reason = F.when(~F.col("possible"), "limit").when((left > FAR_OFF) & (F.abs("z") > FAR_OFF), "spike").when(length >= SAME, "stuck")
-    return off.withColumn("reason", reason).where("home and reason is not null").select("source", "at", "reason")
+    long_runs = off.groupBy("source", "run").agg(F.count_distinct("at").alias("length")).where(F.col("length") >= SAME).withColumnRenamed("run", "_run")
+    off = off.join(named(long_runs), same & (F.col("run") == F.col("_run")), "left").drop("_s", "_run")
+    reason = F.when(~F.col("possible"), "limit").when((left > FAR_OFF) & (F.abs("z") > FAR_OFF), "spike").when(F.col("length").isNotNull(), "stuck")
+    return off.withColumn("reason", reason).where("reason is not null").select("source", "at", "reason")
 
 
 def quality_cases(quality: DataFrame) -> DataFrame:

@@ -125,6 +125,13 @@ def test_implausible_magnitudes(spark):
     assert got == {50, 52, 53, 54, *range(60, 66)}
 
 
+def test_implausible_magnitudes_of_a_rare_robot_over_block_borders(spark):
+    rows = [(e * 100, "rare", m, at) for e, _, m, at in quality(n=60)]
+    rows[38:44] = [(e, r, 1.0625, at) for e, r, _, at in rows[38:44]]  # 3,800 to 4,300, a block ends at 4,096
+    got = {r["episode_index"] for r in implausible.quality_cases(spark.createDataFrame(rows, QUALITY)).collect()}
+    assert got == {e * 100 for e in range(38, 44)}
+
+
 def test_implausible_empty(run):
     assert run("p1_found", frames=([], FRAMES), episode_quality=([], QUALITY)) == []
 
